@@ -2,7 +2,7 @@
 
 Uni- and bigrams hash to buckets.  The raw model counts all documents, the target
 model the labelled good ones; target counts are shrunk towards the raw model by
-``prior`` pseudo-counts a bucket.  A document's log weight is the log ratio of its
+pseudo-counts, ``prior`` times as many as the target's n-grams.  A document's log weight is the log ratio of its
 probabilities under the two; Gumbel noise keyed by doc_id and top-k make the kept
 rows a sample without replacement in proportion to the weights.
 """
@@ -28,7 +28,7 @@ class ResampleParams:
     """
 
     buckets: int = 1 << 16
-    prior: float = 50.0
+    prior: float = 2.0
     label_rows: int = 50_000
     margin: float = 0.02
     seed: int = 7
@@ -78,7 +78,7 @@ def models(docs: DataFrame, good: DataFrame, p: ResampleParams) -> np.ndarray:
     raw[out["bucket"]], target[out["bucket"]] = out["raw"], out["target"]
     if not raw.sum() or not target.sum():
         return np.zeros(buckets)
-    q, mass = raw / raw.sum(), p.prior * buckets
+    q, mass = raw / raw.sum(), p.prior * target.sum()
     ratio = np.log((target + mass * q) / (target.sum() + mass), where=raw > 0, out=np.zeros(buckets))
     return ratio - np.log(q, where=raw > 0, out=np.zeros(buckets))
 

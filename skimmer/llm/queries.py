@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, mixing, quality, simhash
+from . import decontaminate, lines, mixing, pii, quality, simhash, substrings, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,17 +24,29 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_lines, op5_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_lines, op4_urls, op5_simhash, op6_substrings, op9_pii, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op3_lines": lines.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op3_lines": lines.ORACLE, "op4_urls": urls.oracle()}

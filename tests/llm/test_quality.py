@@ -38,7 +38,7 @@ def test_weights_match_plain_counts(spark):
     q = raw / raw.sum()
     for r in rows.collect():
         mine = f[row == r["doc_id"]]
-        want = sum(np.log((target[b] + 2 * 64 * q[b]) / (target.sum() + 128) / q[b]) for b in mine)
+        want = sum(np.log((target[b] / target.sum() + 2 * q[b]) / 3 / q[b]) for b in mine)
         assert r["__weight"] == pytest.approx(want) and r["__words"] == n[r["doc_id"]]
 
 
