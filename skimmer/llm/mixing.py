@@ -21,16 +21,16 @@ from .common import WORD, written
 class MixParams:
     """weights go to the sources in code point order, null last, and repeat.
 
-    The driver apportions one row a source and shard: max_shards bounds them, and with
-    shard_words so the words of the corpus (3e13 here); beyond it, shard_words must grow.
+    The driver apportions one row a source and shard.  A shard has shard_words, or more
+    where the corpus would else have over max_shards of them, so both stay bounded.
     """
 
     weights: tuple[float, ...] = (3.0, 1.0, 2.0)
     share: float = 1.5
     repeats: int = 2
     block_words: int = 32
-    shard_words: int = 16_000_000
-    max_shards: int = 2_000_000
+    shard_words: int = 250_000
+    max_shards: int = 1_000_000
     seed: int = 11
 
 
@@ -104,12 +104,11 @@ def mixed(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
         raise ValueError(f"more than {p.max_shards} sources")
     weight, n = [p.weights[i % len(p.weights)] for i in range(len(found))], [r["n"] for r in found]
     goal = targets(n, weight, p.share * sum(n), p.repeats)
-    table = spark.createDataFrame([(i, r["source"], r["n"], goal[i], max(1, -(-r["n"] // p.shard_words))) for i, r in enumerate(found)], "sid int, __source string, source_size long, target double, shards int")
+    words = max(p.shard_words, -(-sum(n) // p.max_shards))
+    table = spark.createDataFrame([(i, r["source"], r["n"], goal[i], max(1, -(-r["n"] // words))) for i, r in enumerate(found)], "sid int, __source string, source_size long, target double, shards int")
     dealt = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("place", _order(p.seed))
     dealt = dealt.withColumn("shard", F.pmod(F.conv(F.substring("place", 1, 8), 16, 10).cast("long"), F.col("shards").cast("long")).cast("int"))
 
-    if sum(max(1, -(-x // p.shard_words)) for x in n) > p.max_shards:
-        raise ValueError(f"more than {p.max_shards} shards: raise shard_words")
     shards = dealt.groupBy("sid", "shard").agg(F.sum("size").alias("n")).where("n > 0").toPandas().sort_values(["sid", "shard"], ignore_index=True)
     blocks = -(-shards["n"].to_numpy(np.int64) // p.block_words)
     limit = np.zeros(len(found), np.int64)
@@ -155,7 +154,7 @@ def digest(docs: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid,
-             greatest(1, ceil(sum(size) / 16000000.0))::BIGINT AS shards FROM d GROUP BY source),
+             greatest(1, ceil(sum(size) / greatest(250000, ceil(sum(sum(size)) OVER () / 1000000))))::BIGINT AS shards FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][1 + sid % 3] AS weight FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY 2 * n / weight, sid) AS i, sum(weight) OVER (ORDER BY 2 * n / weight DESC, sid DESC) AS open_weight,
              1.5::DOUBLE * sum(n) OVER () - coalesce(sum(2 * n) OVER (ORDER BY 2 * n / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, mixing, pii, quality, simhash, substrings, urls
+from . import decontaminate, lines, mixing, neighbours, ngram, pii, quality, simhash, substrings, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op8_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_lines, op4_urls, op5_simhash, op6_substrings, op9_pii, op10_quality)}
+    return {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_lines, op4_urls, op5_simhash, op6_substrings, op7_neighbours, op8_ngram, op9_pii, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

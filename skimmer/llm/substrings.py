@@ -136,12 +136,13 @@ def deduplicated(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
     """docs with the repeated passages cut out of their texts; rows and other columns stay."""
     mine = repeats(docs, p).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("__spans"))
     marked = docs.join(mine, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
-    at = docs.columns.index("text")
+    names = docs.columns
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t if s is None or t is None else without(t, [(x["start_word"], x["n_words"]) for x in s]) for t, s in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
-            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).select(docs.columns)
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).select(names)
 
     return marked.mapInArrow(run, docs.schema)
 
