@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are lifted onto a sphere (one more coordinate evens out their norms, so the
-largest inner product is the smallest angle), turned by pseudo-rotations (sign flips
+Vectors are dealt to shells of similar norm and lifted onto their shell's sphere (one
+more coordinate evens out the norms, so the largest inner product is the smallest
+angle), turned by pseudo-rotations (sign flips
 and fast Hadamard transforms) and assigned to the nearest signed axis.  Tables differ
 by rotation.  An index vector goes to one bucket a table, a query to the ``probes``
 buckets nearest it; in a bucket all inner products are computed exactly, in blocks.
@@ -23,7 +24,8 @@ from .common import written
 class CrossPolytopeParams:
     """axes: coordinates kept of a rotation (2 * axes signed ones); depth: axes joined to a bucket.
 
-    A bucket of more than block_rows index vectors, or queries, is dealt to blocks.
+    Shells are shell_ratio wide, from the largest norm down; the last holds the rest.  A
+    bucket of more than block_rows index vectors, or queries, is dealt to blocks.
     With more vectors, depth and tables must grow for the buckets to stay small.
     """
 
@@ -32,6 +34,8 @@ class CrossPolytopeParams:
     axes: int = 64
     depth: int = 1
     probes: int = 14
+    shells: int = 16
+    shell_ratio: float = 1.2
     block_rows: int = 20_000
     seed: int = 5
 
@@ -127,16 +131,25 @@ def nearest(vectors: DataFrame, every: int = 20, p: CrossPolytopeParams = CrossP
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
 
+    def shell_of(norm: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.clip(0.5 * np.log(top / norm) / np.log(p.shell_ratio), 0, p.shells - 1).astype(np.int64)
+
+    def shells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(shell_of((matrix(b.column(1)) ** 2).sum(1))).astype(np.int32))], ["s"])
+
     def placed(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
         """(table, rows, buckets, query) of a batch."""
         x, ids = matrix(b.column(1)), b.column(0).to_numpy()
         norm = (x * x).sum(1)
-        lifted = np.concatenate((x, np.sqrt(np.maximum(0, top - norm))[:, None]), 1)
+        shell = shell_of(norm)
+        lifted = np.concatenate((x, np.sqrt(np.maximum(0, top / p.shell_ratio ** (2 * shell) - norm))[:, None]), 1)
         asked = np.flatnonzero(ids % every == 0)
         unit = np.concatenate((x[asked], np.zeros((len(asked), 1))), 1)
         for t in range(p.tables):
-            yield t, np.arange(len(ids)), buckets(lifted, t, p, 1), False
-            yield t, asked, buckets(unit, t, p, p.probes), True
+            yield t, np.arange(len(ids)), buckets(lifted, t, p, 1) * p.shells + shell[:, None], False
+            yield t, asked, (buckets(unit, t, p, p.probes)[:, :, None] * p.shells + there).reshape(len(asked), -1), True
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,6 +158,7 @@ def nearest(vectors: DataFrame, every: int = 20, p: CrossPolytopeParams = CrossP
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys), pa.array(np.full(len(keys), query)), pa.array(n_)], ["t", "bucket", "query", "n"])
 
     source = rows.select("vec_id", "v", deal)
+    there = np.array([r["s"] for r in source.mapInArrow(shells, "s int").distinct().collect()], np.int64)  # at most ``shells`` rows
     counts = source.mapInArrow(count, "t int, bucket long, query boolean, n long").groupBy("t", "bucket", "query").agg(F.sum("n").alias("n"))
     # only buckets beyond a block, of which there are at most (tables + probes * tables) * rows / block_rows
     large = {(r["t"], r["bucket"], r["query"]): -(-r["n"] // p.block_rows) for r in counts.where(F.col("n") > p.block_rows).collect()}
