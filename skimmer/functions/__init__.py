@@ -1 +1 @@
-"""Part of skimmer."""
+"""Column functions: hashing, shingling and sizing formulas."""

@@ -1 +1 @@
-"""Part of skimmer."""
+"""Sketches and their exact counterparts; a sketch is a small relation, its merge an aggregate."""

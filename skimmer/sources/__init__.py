@@ -1 +1 @@
-"""Part of skimmer."""
+"""Seeded generators with exact ground truth, table readers, and result documents."""

@@ -1 +1 @@
-"""Part of skimmer."""
+"""Sketches over Structured Streaming."""
