@@ -32,12 +32,18 @@ def _digest(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, p: LineParams = LineParams(), site: str = "source") -> DataFrame:
-    """(site, h, g, n_pages, site_pages): the boilerplate lines of each site by their 128-bit digests."""
+    """(site, h, g, n_pages, site_pages): the boilerplate lines of each site by their 128-bit digests.
+
+    Pages are the distinct texts of a site, so that a page that was copied many times
+    isn't boilerplate for that.
+    """
     kept = F.filter(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    pages = docs.select(F.col(site).cast("string").alias("site"), F.array_distinct(F.transform(kept, _digest)).alias("d"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    pages = docs.select(F.col(site).cast("string").alias("site"), F.xxhash64(text).alias("page"), F.array_distinct(F.transform(kept, _digest)).alias("d"))
     # the page itself is counted as a line without digest: one shuffle gives pages and lines
-    rows = pages.select("site", F.explode(F.concat(F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("g"))), "d")).alias("d"))
-    counts = written(rows.groupBy("site", "d.h", "d.g").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= p.min_pages), "line-counts")
+    rows = pages.select("site", "page", F.explode(F.concat(F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("g"))), "d")).alias("d"))
+    rows = rows.select("site", "d.h", "d.g", "page").distinct()
+    counts = written(rows.groupBy("site", "h", "g").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= p.min_pages), "line-counts")
     sites = counts.where("h IS NULL").select(F.col("site").alias("__site"), F.col("n_pages").alias("site_pages"))
     return counts.where("h IS NOT NULL").join(sites, F.col("site").eqNullSafe(F.col("__site"))).where(F.col("n_pages") > F.col("site_pages") * p.ratio).drop("__site")
 
@@ -46,8 +52,8 @@ def line_dedup(docs: DataFrame, p: LineParams = LineParams(), site: str = "sourc
     """docs without their sites' boilerplate lines, plus __dropped, the number of lines dropped.
 
     Lines end at "\\n" and compare without the ASCII white space around them; blank
-    lines neither count nor go.  A line counts once a page; repeated rows are pages of
-    their own; rows of a null site form one site.  A text that loses no line stays as
+    lines neither count nor go.  A line counts once a page, and rows of one site with the
+    same text are one page; rows of a null site form one site, and a null text is empty.  A text that loses no line stays as
     it is (a null stays null); one that loses all becomes empty.  Rows and their other
     columns all stay.
     """
@@ -71,10 +77,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
-l AS (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+l AS (SELECT r, doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 b AS (SELECT *, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM l),
-n AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
-c AS (SELECT source, bare, count(DISTINCT r) AS k FROM b WHERE bare <> '' GROUP BY source, bare),
+n AS (SELECT source, count(DISTINCT text) AS pages FROM d GROUP BY source),
+c AS (SELECT source, bare, count(DISTINCT text) AS k FROM b WHERE bare <> '' GROUP BY source, bare),
 x AS (SELECT c.source, c.bare FROM c JOIN n ON c.source IS NOT DISTINCT FROM n.source WHERE k >= 5 AND k > pages * 0.1),
 k AS (SELECT b.*, x.bare IS NOT NULL AS gone FROM b LEFT JOIN x ON b.bare = x.bare AND b.source IS NOT DISTINCT FROM x.source)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,

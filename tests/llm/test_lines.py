@@ -10,8 +10,9 @@ P = lines.LineParams(ratio=0.5, min_pages=3)
 
 
 def brute(rows):
-    pages = Counter(s for _, s in rows)
-    seen = Counter((s, x) for t, s in rows for x in {y.strip(" \t\n\v\f\r") for y in (t or "").split("\n")} if x)
+    once = {(t or "", s) for t, s in rows}
+    pages = Counter(s for _, s in once)
+    seen = Counter((s, x) for t, s in once for x in {y.strip(" \t\n\v\f\r") for y in (t or "").split("\n")} if x)
     gone = {k for k, n in seen.items() if n >= 3 and n > pages[k[0]] * 0.5}
     return ["\n".join(x for x in (t or "").split("\n") if (s, x.strip(" \t\n\v\f\r")) not in gone) for t, s in rows]
 
@@ -29,5 +30,5 @@ def test_lines(spark):
 
 def test_empty_and_small_sites(spark):
     assert lines.digest(spark.createDataFrame([], DOCS)).count() == 0
-    docs = make_docs(spark, ["x"] * 4)
+    docs = make_docs(spark, ["x"] * 40)
     assert {r["n_dropped"] for r in lines.digest(docs).collect()} == {0}
