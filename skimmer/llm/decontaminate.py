@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textvec
+from .common import ship
 
 
 @dataclass(frozen=True)
@@ -82,6 +83,7 @@ class Index:
 
 def _blocks(items: DataFrame, p: ContainmentParams) -> Iterator[Index]:
     """The items' shingles in blocks of bounded size; items without words have none and match nothing."""
+    ship(items.sparkSession)
     block, size = [], 0
     for row in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         shingles = frozenset(textvec.shingle_bytes(textvec.word_bytes(row[1]), p.shingle))
