@@ -64,10 +64,11 @@ def models(docs: DataFrame, good: DataFrame, p: ResampleParams) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for b in batches:
-            f, row, _ = _features(b.column(0), buckets)
             chosen = b.column(1).fill_null(False).to_numpy(zero_copy_only=False)
-            raw += np.bincount(f, minlength=buckets)
-            target += np.bincount(f[chosen[row]], minlength=buckets)
+            for lo, hi in textvec.row_slices(b.column(0)):
+                f, row, _ = _features(b.column(0).slice(lo, hi - lo), buckets)
+                raw += np.bincount(f, minlength=buckets)
+                target += np.bincount(f[chosen[lo:hi][row]], minlength=buckets)
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen, raw[seen], target[seen])], ["bucket", "raw", "target"])
 
@@ -90,9 +91,10 @@ def weights(docs: DataFrame, labels: DataFrame, p: ResampleParams = ResamplePara
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f, row, n = _features(b.column(1), buckets)
-            w = np.bincount(row, ratio[f], minlength=b.num_rows)[: b.num_rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(w)], ["doc_id", "__digest", "__words", "__weight"])
+            for lo, hi in textvec.row_slices(b.column(1)):
+                f, row, n = _features(b.column(1).slice(lo, hi - lo), buckets)
+                w = np.bincount(row, ratio[f], minlength=hi - lo)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(n), pa.array(w)], ["doc_id", "__digest", "__words", "__weight"])
 
     text = F.col("text").cast("string")
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("__digest")).mapInArrow(score, "doc_id long, __digest long, __words long, __weight double")

@@ -8,6 +8,8 @@ counts as an empty one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -113,6 +115,16 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), at).astype(np.int64)
 
 
+def row_slices(column: pa.Array, most: int = 2 * PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most ``most`` bytes of text, or of one row, so that a batch needs little memory."""
+    _, at = buffers(column)
+    row = 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
+        yield row, min(end, len(column))
+        row = end
+
+
 def windows(hashes: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of ``size`` words inside rows, repeats included, and each row's first.
 
