@@ -230,7 +230,16 @@ def _grouped(docs: DataFrame, p: SimHashParams) -> DataFrame:
     """(doc_id, digest, fp, component_id, group): group is a fingerprint that names the component."""
     marks = written(fingerprints(docs, p), "fingerprints")
     distinct = written(marks.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    groups = written(connected_components(linked(distinct, p)), "components")
+    return _labelled(marks, distinct, linked(distinct, p))
+
+
+def named(marks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, digest, fp, component_id, group) of marks (doc_id, digest, fp) by the components of edges (a, b) over fp."""
+    return _labelled(marks, written(marks.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct"), edges)
+
+
+def _labelled(marks: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    groups = written(connected_components(edges), "components")
     named = groups.join(distinct, groups["node"] == distinct["fp"]).groupBy("component").agg(F.min("low").alias("lowest"))
     label = (
         distinct.join(groups, distinct["fp"] == groups["node"], "left").join(named, "component", "left")
@@ -257,7 +266,12 @@ def deduplicated(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFra
     Where several rows have that doc_id, the one with the smallest hash of its text
     stays.  Rows without a doc_id all stay: they can't be named.
     """
-    best = _grouped(docs, p).where("doc_id = component_id").groupBy("group").agg(F.min("doc_id").alias("__id"), F.min("digest").alias("__digest"))
+    return lowest(docs, _grouped(docs, p))
+
+
+def lowest(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of docs that deduplicated() keeps, given their groups."""
+    best = grouped.where("doc_id = component_id").groupBy("group").agg(F.min("doc_id").alias("__id"), F.min("digest").alias("__digest"))
     digest_ = F.xxhash64(F.col("text").cast("string"))
     same = (F.col("doc_id").cast("long") == F.col("__id")) & (digest_ == F.col("__digest"))
     out = docs.join(best.select("__id", "__digest").distinct(), same, "left_semi")
