@@ -31,15 +31,18 @@ def _digest(line: Column) -> Column:
     return F.struct(F.xxhash64(bare).alias("h"), F.xxhash64(F.lit(1), bare).alias("g"))
 
 
-def boilerplate(docs: DataFrame, p: LineParams = LineParams(), site: str = "source") -> DataFrame:
+def boilerplate(docs: DataFrame, p: LineParams = LineParams(), site: str = "source", copies: DataFrame | None = None) -> DataFrame:
     """(site, h, g, n_pages, site_pages): the boilerplate lines of each site by their 128-bit digests.
 
     Pages are the distinct texts of a site, so that a page that was copied many times
-    isn't boilerplate for that.
+    isn't boilerplate for that.  With ``copies`` (page, group: one row for each text's
+    XXH64) the texts of a group are one page.
     """
     kept = F.filter(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     pages = docs.select(F.col(site).cast("string").alias("site"), F.xxhash64(text).alias("page"), F.array_distinct(F.transform(kept, _digest)).alias("d"))
+    if copies is not None:
+        pages = pages.join(copies, "page", "left").select("site", F.coalesce("group", "page").alias("page"), "d")
     # the page itself is counted as a line without digest: one shuffle gives pages and lines
     rows = pages.select("site", "page", F.explode(F.concat(F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("g"))), "d")).alias("d"))
     rows = rows.select("site", "d.h", "d.g", "page").distinct()
@@ -48,7 +51,7 @@ def boilerplate(docs: DataFrame, p: LineParams = LineParams(), site: str = "sour
     return counts.where("h IS NOT NULL").join(sites, F.col("site").eqNullSafe(F.col("__site"))).where(F.col("n_pages") > F.col("site_pages") * p.ratio).drop("__site")
 
 
-def line_dedup(docs: DataFrame, p: LineParams = LineParams(), site: str = "source") -> DataFrame:
+def line_dedup(docs: DataFrame, p: LineParams = LineParams(), site: str = "source", copies: DataFrame | None = None) -> DataFrame:
     """docs without their sites' boilerplate lines, plus __dropped, the number of lines dropped.
 
     Lines end at "\\n" and compare without the ASCII white space around them; blank
@@ -57,7 +60,7 @@ def line_dedup(docs: DataFrame, p: LineParams = LineParams(), site: str = "sourc
     it is (a null stays null); one that loses all becomes empty.  Rows and their other
     columns all stay.
     """
-    found = written(boilerplate(docs, p, site), "boilerplate")
+    found = written(boilerplate(docs, p, site, copies), "boilerplate")
     few = found.count() <= p.broadcast_lines
     lists = found.groupBy("site").agg(F.collect_list(F.struct("h", "g")).alias("__lines")).withColumnRenamed("site", "__site")
     # a site has at most (lines a page) / ratio such lines

@@ -1,7 +1,9 @@
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline as pipeline
 from skimmer.llm import lines
 
 from .conftest import DOCS, make_docs
@@ -32,3 +34,18 @@ def test_empty_and_small_sites(spark):
     assert lines.digest(spark.createDataFrame([], DOCS)).count() == 0
     docs = make_docs(spark, ["x"] * 40)
     assert {r["n_dropped"] for r in lines.digest(docs).collect()} == {0}
+
+
+def test_pipeline_drops_planted_footers(spark):
+    # footers on 3 % of a hot source and on 5 of a small one's 60 pages; near copies, 4 % of the hot one, keep their body
+    rng = random.Random(2)
+    body = lambda: " ".join(f"w{rng.randrange(9000)}" for _ in range(60))
+    texts = [body() + ("\nhot footer of the site" if i % 33 == 0 else "") for i in range(600)]
+    texts += [body() + ("\nsmall footer of the site" if i % 12 == 0 else "\nrare line" if i % 15 == 1 else "") for i in range(60)]
+    copied = body()
+    texts += [f"{copied}\ncopy {i}" for i in range(24)]
+    docs = make_docs(spark, texts, None, ["hot"] * 600 + ["small"] * 60 + ["hot"] * 24)
+    out = [r["text"] for r in pipeline.line_stage(spark, docs, "").orderBy("doc_id").collect()]
+    assert not any("footer" in t for t in out)
+    assert sum("rare line" in t for t in out) == sum("rare line" in t for t in texts) > 0
+    assert out[-24:] == texts[-24:]
