@@ -105,8 +105,24 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(places, F.lit(0), lambda a, x: a + F.when(x.twice == 0, x.d).otherwise(F.when(x.d > 4, x.d * 2 - 9).otherwise(x.d * 2)))
 
 
-def surrogate(kind: Column, canon: Column, value: Column, attempt: Column, p: PiiParams) -> Column:
-    """The replacement of one mention; its letters and digits depend on kind, canonical form and attempt only."""
+def _gender(value: Column) -> Column:
+    """What a mention's title says, null for none or a neutral one."""
+    title = F.regexp_replace(F.regexp_extract(value, rf"^(?:{_TITLE})\.? ", 0), r"[. ]", "")
+    return F.when(title.isin(*MALE), "male").when(title.isin(*FEMALE), "female")
+
+
+def _code(value: Column) -> Column:
+    """Digits of the country code that a separator ends, null for none."""
+    code = F.length(F.regexp_extract(value, r"^\+(\d{1,3})(?=[ .(-])", 1))
+    return F.when(code > 0, code)
+
+
+def surrogate(kind: Column, canon: Column, value: Column, attempt: Column, p: PiiParams, gender: Column | None = None, code: Column | None = None) -> Column:
+    """The replacement of one mention; its letters and digits depend on kind, canonical form and attempt only.
+
+    gender and code: what the entity's mentions together say, for those that don't say it themselves.
+    """
+    gender, code = _gender(value) if gender is None else gender, _code(value) if code is None else code
     s = _stream(p, kind, canon, attempt.cast("string"))
     domain = F.regexp_extract(value, r"@(.*)$", 1)
     local = F.regexp_extract(value, r"^(.*)@", 1)
@@ -122,14 +138,13 @@ def surrogate(kind: Column, canon: Column, value: Column, attempt: Column, p: Pi
     mend = F.pmod(F.substring(digits, -1, 1).cast("int") - _luhn(digits), F.lit(10)).cast("string")
     valid = F.pmod(_luhn(F.regexp_replace(value, r"\D", "")), F.lit(10)) == 0
     card = F.when(valid, F.concat(F.substr(plain, F.lit(1), F.length(plain) - 1), mend)).otherwise(plain)
-    phone = _shaped(value, s, F.length(F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])|^\+", 0)))
+    phone = _shaped(value, s, F.when(F.startswith(value, F.lit("+")), F.coalesce(code, F.lit(0)) + 1).otherwise(0))
 
     title = F.regexp_extract(value, rf"^(?:{_TITLE})\.? ", 0)
     words = F.split(F.substr(value, F.length(title) + 1), " ")
-    bare = F.regexp_replace(title, r"[. ]", "")
-    script = F.when(F.regexp_like(value, F.lit(r"\p{IsCyrillic}")), "Cyrillic").when(F.regexp_like(value, F.lit(r"\p{IsGreek}")), "Greek").otherwise("Latin")
-    # without a gendered title the hash decides, alike for all mentions
-    gender = F.when(bare.isin(*MALE), "male").when(bare.isin(*FEMALE), "female").when(F.pmod(_byte(_stream(p, F.lit("gender"), canon), F.lit(0)), F.lit(2)) == 0, "male").otherwise("female")
+    script = F.when(F.regexp_like(canon, F.lit(r"\p{IsCyrillic}")), "Cyrillic").when(F.regexp_like(canon, F.lit(r"\p{IsGreek}")), "Greek").otherwise("Latin")
+    # without a gendered title among the mentions the hash decides; of mentions with both each follows its own
+    gender = F.coalesce(_gender(value), gender, F.when(F.pmod(_byte(_stream(p, F.lit("gender"), canon), F.lit(0)), F.lit(2)) == 0, "male").otherwise("female"))
     given = F.lit("")
     for group, names in GIVEN.items():
         given = F.when(F.concat_ws(" ", gender, script) == group, F.element_at(F.array(*map(F.lit, names)), F.pmod(_byte(s, F.lit(0)), F.lit(len(names))) + 1)).otherwise(given)
@@ -141,23 +156,26 @@ def surrogate(kind: Column, canon: Column, value: Column, attempt: Column, p: Pi
 
 
 def attempts(entities: DataFrame, p: PiiParams) -> DataFrame:
-    """kind, canon, attempt: which draw each distinct entity uses, so that no two surrogates of a kind share a canonical form and none is an entity.
+    """kind, canon, attempt, gender, code: which draw each distinct entity uses, so that no two entities of a kind share a surrogate's canonical form and none is an entity.
 
-    Of entities with one surrogate the smallest keeps it.  Each round handles only those that collided, with one shuffle of the distinct entities.
+    All spellings of an entity are checked and move together.  Of entities with one
+    surrogate the smallest keeps it.  Each round shuffles the distinct spellings.
     """
-    now = written(entities.groupBy("kind", "canon").agg(F.min("value").alias("value")).withColumn("attempt", F.lit(0)), "entities")
-    real = now.select("kind", F.col("canon").alias("made"), F.lit(True).alias("real"))
+    key = ["kind", "canon"]
+    traits = entities.groupBy(*key).agg(F.min(F.when(F.col("kind") == "name", _gender(F.col("value")))).alias("gender"), F.min(F.when(F.col("kind") == "phone", _code(F.col("value")))).alias("code"))
+    forms = written(entities.select(*key, "value").distinct().join(traits, key), "forms")
+    now = written(forms.select(*key, "gender", "code").distinct().withColumn("attempt", F.lit(0)), "entities")
+    real = written(now.select("kind", F.col("canon").alias("made"), F.lit(True).alias("real")), "real")
     for _ in range(p.rounds):
-        made = canonical(F.col("kind"), surrogate(F.col("kind"), F.col("canon"), F.col("value"), F.col("attempt"), p))
-        drawn = written(now.withColumn("made", made), "surrogates")
+        made = canonical(F.col("kind"), surrogate(F.col("kind"), F.col("canon"), F.col("value"), F.col("attempt"), p, F.col("gender"), F.col("code")))
+        drawn = written(forms.join(now.select(*key, "attempt"), key).select(*key, "gender", "code", "attempt", made.alias("made")).distinct(), "surrogates")
         first = drawn.groupBy("kind", "made").agg(F.min("canon").alias("owner"), F.count("*").alias("n"))
-        clash = written(first.join(real.dropDuplicates(["kind", "made"]), ["kind", "made"], "left").where("n > 1 OR real").select("kind", "made", F.when(F.col("real"), F.lit(None).cast("string")).otherwise(F.col("owner")).alias("owner"), F.lit(True).alias("clash")), "clashes")
+        clash = written(first.join(real, ["kind", "made"], "left").where("n > 1 OR real").select("kind", "made", F.when(F.col("real"), F.lit(None).cast("string")).otherwise(F.col("owner")).alias("owner"), F.lit(True).alias("clash")), "clashes")
         if clash.isEmpty():
-            return drawn.select("kind", "canon", "attempt")
+            return now
         again = drawn.join(clash, ["kind", "made"], "left")
         move = F.col("clash").isNotNull() & ~F.col("canon").eqNullSafe(F.col("owner"))
-        now = written(again.select("kind", "canon", "value", F.when(move, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt")), "entities")
-        real = now.select("kind", F.col("canon").alias("made"), F.lit(True).alias("real"))
+        now = written(again.groupBy(*key, "gender", "code").agg(F.max(F.col("attempt") + move.cast("int")).alias("attempt")), "entities")
         discard(drawn)
     raise ValueError(f"surrogates still collide after {p.rounds} rounds")
 
@@ -174,7 +192,7 @@ def changed(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     rows = written(rows, "private")
     each = rows.select("__id", "__digest", F.posexplode("__found").alias("pos", "value")).distinct().withColumn("kind", _kind(F.col("value")))
     each = written(each.withColumn("canon", canonical(F.col("kind"), F.col("value"))), "mentions")
-    new = each.join(attempts(each, p), ["kind", "canon"]).select("__id", "__digest", "pos", surrogate(F.col("kind"), F.col("canon"), F.col("value"), F.col("attempt"), p).alias("new"))
+    new = each.join(attempts(each, p), ["kind", "canon"]).select("__id", "__digest", "pos", surrogate(F.col("kind"), F.col("canon"), F.col("value"), F.col("attempt"), p, F.col("gender"), F.col("code")).alias("new"))
     lists = new.groupBy("__id", "__digest").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x.new).alias("__new")).withColumnsRenamed({"__id": "__i", "__digest": "__d"})
     out = rows.join(lists, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__digest") == F.col("__d")))
     gaps = F.split(text, PATTERN, -1)

@@ -69,3 +69,25 @@ def test_odd_input(spark, odd_texts):
     assert out.columns == docs.columns and out.count() == docs.count()
     assert out.where("text IS NULL").count() == 1
     assert pii.digest(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_spellings_of_an_entity(spark):
+    people = [f"{g} {s}" for g in ("Ina", "Eva", "Jane", "Mia") for s in ("Berg", "Mann", "Smith")]
+    out = rewritten(spark, [f"Prof {n}; Mrs {n}; Dr {n}" for n in people] + ["+1 (017) 555-7713; +10175557713; +1017 555 7713", "Господин John Smith; Mr John Smith"])
+    for i in range(len(people)):
+        assert len({x.split(" ", 1)[1] for x in out[i]["text"].split("; ")}) == 1
+    phones = {re.sub(r"[^+0-9]", "", x) for x in out[len(people)]["text"].split("; ")}
+    assert len(phones) == 1 and phones.pop().startswith("+1")
+    assert len({x.split(" ", 1)[1] for x in out[len(people) + 1]["text"].split("; ")}) == 1
+
+
+def test_all_spellings_are_checked(spark):
+    # both titles for each name: two surrogates an entity, of 32 given names and 26 surnames
+    rows = [("name", f"{g} {s}".lower(), f"{t} {g} {s}") for s in "ABCDEFGH" for g in ("Kim", "Lee", "Sam", "Jo") for t in ("Mr", "Mrs", "Dr")]
+    entities = spark.createDataFrame(rows, "kind string, canon string, value string")
+    p = pii.PiiParams()
+    drawn = entities.join(pii.attempts(entities, p), ["kind", "canon"])
+    made = pii.surrogate(F.col("kind"), F.col("canon"), F.col("value"), F.col("attempt"), p, F.col("gender"), F.col("code"))
+    owners = drawn.groupBy(pii.canonical(F.col("kind"), made).alias("made")).agg(F.countDistinct("canon").alias("n"))
+    assert owners.where("n > 1").count() == 0
+    assert owners.join(entities.select(F.col("canon").alias("made")), "made").count() == 0
