@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +18,8 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 _shipped: set[str] = set()
+_own_dirs: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -30,23 +35,68 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(spark.sparkContext.applicationId)
 
 
+def mapped(df: DataFrame, f: Callable, schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(f, schema) with the package on the workers: a UDF sees what was shipped before it was made."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
+def solved(df: DataFrame, keys: Sequence[str], f: Callable, schema: str) -> DataFrame:
+    """df.groupBy(keys).applyInArrow(f, schema) with the package on the workers."""
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(f, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where none is."""
-    ship(spark)
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='skimmer-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, local mode gets a folder of its own and a cluster an error."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='skimmer-')}"
+    return _own_dirs[context.applicationId]
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/skimmer/{name}-{uuid.uuid4().hex}"
+    """A path for a table or folder of this application; it goes with the scope that it was made in, else when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/skimmer/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    files, where = _hadoop(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, where = _hadoop(spark, path)
+    files.delete(where, True)
+    files.cancelDeleteOnExit(where)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables made inside are deleted at its end; what is to be kept must be written elsewhere before. After an error they stay until the driver ends."""
+    _scopes.append([])
+    try:
+        yield
+        for path in _scopes[-1]:
+            _delete(spark, path)
+    finally:
+        _scopes.pop()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table written in the shared folder: it cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -54,13 +104,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame | None) -> None:
-    """Delete a table that written() made and that nothing reads any more."""
-    path = getattr(df, "_skimmer_path", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that written() made and that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_skimmer_path", None)
+        if path:
+            _delete(df.sparkSession, path)
 
 
 def ascii_lower(c: Column) -> Column:

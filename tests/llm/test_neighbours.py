@@ -59,6 +59,7 @@ def test_few_odd_and_equal_vectors(spark):
     df = df.unionByName(df.where("vec_id = 0"))
     want = brute([i * 10 for i in range(12)], x)
     got = {}
+    assert df.where("vec_id = 0").count() == 2
     for r in neighbours.digest(df).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert got == {q: [a for a, _ in v] for q, v in want.items()}
@@ -67,3 +68,57 @@ def test_few_odd_and_equal_vectors(spark):
 def test_nothing(spark):
     assert neighbours.digest(spark.createDataFrame([], EMBEDDINGS)).count() == 0
     assert neighbours.digest(spark.createDataFrame([(0, [1.0, 2.0], 0)], EMBEDDINGS)).count() == 0
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+def test_recall_on_the_tables(spark, scale):
+    df = spark.read.parquet(f"/root/testdata/sf{scale}/embeddings.parquet")
+    rows = df.orderBy("vec_id").collect()
+    want = brute([r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], np.float32))
+    got = {}
+    for r in neighbours.digest(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == set(want) and np.mean([len(got[q] & {a for a, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_buckets_follow_from_the_rows():
+    p = neighbours.CrossPolytopeParams()
+    sizes = [neighbours.geometry(n, p).buckets for n in (10, 8_000, 50_000, 10**6, 10**9)]
+    assert sizes == sorted(sizes) and sizes[0] == 128 and 10**9 / sizes[-1] <= p.bucket_rows
+
+
+def test_probes_ascend_and_are_the_nearest():
+    x = np.random.RandomState(4).randn(9, 20)
+    p = neighbours.CrossPolytopeParams(axes=8, depth=2)
+    some, every = neighbours.buckets(x, 1, p, 40), neighbours.buckets(x, 1, p, 256)
+    assert (some == every[:, :40]).all() and all(len(set(r)) == 256 for r in every.tolist())
+    assert (some[:, :1] == neighbours.buckets(x, 1, p, 1)).all()
+
+
+def test_hadamard():
+    x = np.random.RandomState(5).randn(3, 128)
+    h = np.ones((1, 1))
+    while len(h) < 128:
+        h = np.block([[h, h], [h, -h]])
+    assert np.allclose(neighbours.hadamard(x), x @ h / np.sqrt(128))
+
+
+def test_copies_and_one_id_of_two_vectors(spark):
+    """A third of all rows are one vector; vec_id 20 has two vectors, so that its scores are the larger ones."""
+    x = np.random.RandomState(6).randn(120, 8).astype(np.float32)
+    x[40:80] = x[40]
+    ids = list(range(120))
+    ids[119] = 20
+    score, pairs = {}, set()
+    for i, v in zip(ids, x):
+        for j, w in zip(ids, x):
+            if i % 20 == 0 and i != j:
+                s = sum(float(a) * float(b) for a, b in zip(v, w))
+                pairs.add((i, j, s))
+                score.setdefault(i, {})[j] = max(score.get(i, {}).get(j, -np.inf), s)
+    want = {i: sorted(s.items(), key=lambda y: (-y[1], y[0]))[:20] for i, s in score.items()}
+    got = {}
+    for r in neighbours.digest(frame(spark, ids, x)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == set(want) and np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 20 for q in want]) >= 0.9
+    assert all((q, v, s) in pairs for q in got for v, s in got[q])
