@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textvec
-from .common import written
+from .common import discard, mapped, written
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ class ChunkParams:
 
 
 SECOND = 0xC2B2AE3D27D4EB4F
-ROW = "digest long, digest2 long, doc_id long, start long, n int, again boolean"
+ROW = "digest long, digest2 long, doc_id long, doc long, start int, n int, again boolean"
 
 
 def boundaries(hashes: np.ndarray, at: np.ndarray, p: ChunkParams) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +78,7 @@ def _digests(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[n
 
 
 def chunks(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
-    """(digest, digest2, doc_id, start, n, again): the chunks of each whole text; again: seen earlier in it."""
+    """(digest, digest2, doc_id, doc, start, n, again): the chunks of each whole text; doc: its XXH64, again: seen earlier in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,32 +91,38 @@ def chunks(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
             new = np.ones(len(order), bool)
             new[1:] = (np.diff(row[order]) != 0) | (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)
             again[order[new]] = False
-            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), b.column(0).take(pa.array(row)), pa.array(starts - at[row]), pa.array((ends - starts).astype(np.int32)), pa.array(again)], ["digest", "digest2", "doc_id", "start", "n", "again"])
+            own = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), b.column(0).take(own), b.column(2).take(own), pa.array((starts - at[row]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(again)], ["digest", "digest2", "doc_id", "doc", "start", "n", "again"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ROW)
+    text = F.col("text").cast("string")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("doc")), run, ROW)
 
 
 def repeats(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
-    """(doc_id, start_word, n_words, first_doc_id): passages that go, and the first document that has their first chunk.
+    """(doc_id, doc, start_word, n_words, first_doc_id): passages that go, and the first document that has their first chunk.
 
-    The document of the smallest doc_id keeps a passage; rows that share a doc_id count
-    as one document, and rows without one as the last.  Null and empty texts have no
-    chunks.  No rows: no rows.
+    A document is a doc_id and a text (doc is the text's XXH64): rows that share a doc_id
+    with other texts are documents of their own, and rows that share both are one.  The
+    first document, by doc_id, null last, and then by doc, keeps a passage.  Null and empty
+    texts have no chunks.  No rows: no rows.
     """
-    last = (1 << 63) - 1
-    all_ = written(chunks(docs, p).withColumn("doc_id", F.coalesce("doc_id", F.lit(last))), "chunks")
-    keys = ["digest", "digest2"]
-    # partial minima and maxima meet in the shuffle, so a chunk that all documents have is one row a task
-    shared = all_.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final")).where("first < final").drop("final")
-    gone = all_.join(shared, keys).where("doc_id > first").select("doc_id", "start", "n", "first")
-    own = all_.where("again").select("doc_id", "start", "n", F.col("doc_id").alias("first"))
-    rows = gone.unionByName(own).groupBy("doc_id", "start", "n").agg(F.min("first").alias("first"))
-    place = Window.partitionBy("doc_id").orderBy("start")
-    rows = rows.withColumn("new", (F.col("start") != F.coalesce(F.lag(F.col("start") + F.col("n")).over(place), F.lit(-1))).cast("int"))
-    rows = rows.withColumn("run", F.sum("new").over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy("doc_id", "run").agg(F.min("start").alias("start_word"), F.sum("n").cast("long").alias("n_words"), F.min_by("first", "start").alias("first"))
-    name = lambda c: F.when(F.col(c) != last, F.col(c))
-    return runs.where(F.col("n_words") >= p.min_words).select(name("doc_id").alias("doc_id"), "start_word", "n_words", name("first").alias("first_doc_id"))
+    all_ = written(chunks(docs, p), "chunks")
+    # first only digests move, with 32 bits of the document, to find those of several documents
+    sides = F.xxhash64("doc_id", "doc").bitwiseAND(F.lit(0xFFFFFFFF))
+    several = all_.groupBy("digest").agg(F.min(sides).alias("low"), F.max(sides).alias("high")).where("low < high").select("digest")
+    some = written(all_.join(several, "digest", "left_semi"), "shared-chunks")
+    own = written(all_.where("again").select("doc_id", "doc", "start", "n", F.col("doc_id").alias("first")), "own-chunks")
+    discard(all_)
+    keys, place = ["digest", "digest2"], F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc")
+    # partial minima meet in the shuffle, so a chunk that all documents have is one row a task
+    firsts = some.groupBy(*keys).agg(F.min(place).alias("keeper"))
+    gone = some.join(firsts, keys).where(place > F.col("keeper")).select("doc_id", "doc", "start", "n", F.col("keeper.doc_id").alias("first"))
+    rows = gone.unionByName(own).groupBy("doc_id", "doc", "start", "n").agg(F.min(F.struct(F.col("first").isNull(), "first")).alias("first"))
+    order = Window.partitionBy("doc_id", "doc").orderBy("start")
+    rows = rows.withColumn("new", (F.col("start") != F.coalesce(F.lag(F.col("start") + F.col("n")).over(order), F.lit(-1))).cast("int"))
+    rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy("doc_id", "doc", "run").agg(F.min("start").cast("long").alias("start_word"), F.sum("n").cast("long").alias("n_words"), F.min_by("first", "start").alias("first"))
+    return runs.where(F.col("n_words") >= p.min_words).select("doc_id", "doc", "start_word", "n_words", F.col("first.first").alias("first_doc_id"))
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -133,9 +139,16 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def deduplicated(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
-    """docs with the repeated passages cut out of their texts; rows and other columns stay."""
-    mine = repeats(docs, p).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("__spans"))
-    marked = docs.join(mine, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+    """docs with the repeated passages cut out of their texts; rows and other columns stay.
+
+    Rows that share doc_id and text are cut alike, others each by their own passages, as
+    in repeats().  Null and empty texts stay as they are.  A text that is all repeated
+    becomes empty.  No rows: no rows.
+    """
+    spans, id_, doc = "__spans", "__doc_id", "__doc"
+    mine = repeats(docs, p).groupBy(F.col("doc_id").alias(id_), F.col("doc").alias(doc)).agg(F.collect_list(F.struct("start_word", "n_words")).alias(spans))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col("text").cast("string")) == F.col(doc))
+    marked = docs.join(mine, same, "left").drop(id_, doc)
     names = docs.columns
     at = names.index("text")
 
@@ -144,9 +157,9 @@ def deduplicated(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
             texts = [t if s is None or t is None else without(t, [(x["start_word"], x["n_words"]) for x in s]) for t, s in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).select(names)
 
-    return marked.mapInArrow(run, docs.schema)
+    return mapped(marked, run, docs.schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, start_word, n_words, first_doc_id of each repeated passage."""
-    return repeats(docs)
+    return repeats(docs).select("doc_id", "start_word", "n_words", "first_doc_id")

@@ -27,26 +27,31 @@ def brute_chunks(text):
 
 
 def brute(rows):
-    first, gone = {}, {}
-    for d, text in sorted(rows, key=lambda r: r[0]):
-        for start, c in brute_chunks(text):
-            if c in first:
-                gone.setdefault(d, []).append((start, len(c), first[c]))
-            else:
-                first[c] = d
-    out = set()
-    for d, spans in gone.items():
+    """(doc_id, start, words, first doc_id) by the definition; documents are pairs of id and text."""
+    first, out = {}, set()
+    for d, _, text in sorted({(d, mark(t), t) for d, t in rows if t}, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
         run = None
-        for s, n, f in [*spans, (10**9, 0, 0)]:
-            if run and run[0] + run[1] == s:
-                run = (run[0], run[1] + n, run[2])
+        for start, c in [*brute_chunks(text), (10**9, ())]:
+            if c in first or not c:
+                if run and c and run[0] + run[1] == start:
+                    run = (run[0], run[1] + len(c), run[2])
+                else:
+                    if run and run[1] >= P.min_words:
+                        out.add((d, *run))
+                    run = (start, len(c), first.get(c))
             else:
-                if run and run[1] >= P.min_words:
-                    out.add((d, *run))
-                run = (s, n, f)
+                first[c] = d
     return out
 
 
+def mark(text):
+    """The signed XXH64 that orders texts under one id."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def corpus():
     rng = random.Random(9)
     word = lambda: f"x{rng.randrange(5000)}"
@@ -99,3 +104,30 @@ def test_same_id_and_null_id(spark):
     text = " ".join(f"k{i}" for i in range(300))
     docs = make_docs(spark, [text] * 4, [7, 7, None, 9])
     assert sorted(((r["doc_id"], r["first_doc_id"]) for r in substrings.digest(docs).collect()), key=str) == [(9, 7), (None, 7)]
+
+
+def odd_rows():
+    """Repeated ids with other texts, shorter ones among them, null ids, repeated rows."""
+    rng = random.Random(21)
+    unique = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    shared = unique(60)
+    texts = [(1, f"{unique(30)} {shared} {unique(30)}"), (2, f"{unique(60)} {shared} {unique(60)}"), (2, unique(120)), (2, unique(9)), (2, "a b")]
+    texts += [(None, f"{shared} {unique(40)}"), (None, unique(150)), (None, f"{unique(11)}"), (None, None), (3, None), (3, "")]
+    texts += [(5, f"{unique(80)}\n{shared}"), (5, f"{shared} {unique(20)}")] + [(6, f"{unique(20)} {shared}")]
+    return texts + [texts[0], texts[1], texts[5]]
+
+
+def test_odd_rows_against_brute_force(spark):
+    rows = odd_rows()
+    docs = make_docs(spark, [t for _, t in rows], [d for d, _ in rows])
+    assert {tuple(r) for r in substrings.digest(docs).collect()} == brute(rows)
+
+
+def test_no_unique_word_is_lost(spark):
+    rows = odd_rows()
+    docs = make_docs(spark, [t for _, t in rows], [d for d, _ in rows]).withColumn("doc", F.lit("clash"))
+    out = substrings.deduplicated(docs).collect()
+    assert len(out) == len(rows) and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out) == sorted((d is None, d or 0) for d, _ in rows)
+    assert {w for _, t in rows for w in (t or "").split()} == {w for r in out for w in (r["text"] or "").split()}
+    whole = {(d, t) for d, t in rows}
+    assert sum((r["doc_id"], r["text"]) not in whole for r in out) >= 5
