@@ -44,8 +44,12 @@ def op8_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.digest(table(spark, sf_dir, "documents"))
 
 
+#: The key of op9_pii, whose tables are synthetic; other data need a secret one.
+PII_KEY = "synthetic documents"
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(table(spark, sf_dir, "documents"))
+    return pii.digest(table(spark, sf_dir, "documents"), pii.PiiParams(PII_KEY))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
