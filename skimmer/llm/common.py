@@ -93,11 +93,11 @@ def scope(spark: SparkSession) -> Iterator[None]:
         _scopes.pop()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written in the shared folder: it cuts the lineage and outlives lost executors."""
+def written(df: DataFrame, name: str = "", path: str | None = None) -> DataFrame:
+    """df as a table written in the shared folder, or at path: it cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     ship(spark)
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._skimmer_path = path
@@ -112,6 +112,11 @@ def discard(*tables: DataFrame | None) -> None:
             _delete(df.sparkSession, path)
 
 
+def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table, marked for broadcast if it has at most so many rows; else Spark's join, which splits hot keys, decides."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textvec
-from .common import mapped, ship, written
+from .common import bounded, mapped, ship, written
 
 
 @dataclass(frozen=True)
@@ -147,9 +147,8 @@ def contained(docs: DataFrame, items: DataFrame, p: ContainmentParams = Containm
 def decontaminated(docs: DataFrame, items: DataFrame, p: ContainmentParams = ContainmentParams()) -> DataFrame:
     """The rows of docs that contain no item, with all their columns; nulls and empty texts stay."""
     hit = written(_searched(docs, items, p).select(F.col("doc_id").alias("__id"), F.col("doc").alias("__doc")).distinct(), "contaminated")
-    hit = F.broadcast(hit) if hit.count() <= p.broadcast_rows else hit
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__doc"))
-    return docs.join(hit, same, "left_anti")
+    return docs.join(bounded(hit, p.broadcast_rows), same, "left_anti")
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:

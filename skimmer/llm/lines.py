@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import SPACES, written
 
 
+PARTS = 64
+
+
 @dataclass(frozen=True)
 class LineParams:
     """A line goes if more than ``ratio`` of its site's pages, and at least ``min_pages``, carry it.
 
-    broadcast_lines: the most boilerplate lines that are broadcast; more are joined by site.
+    broadcast_lines: the most boilerplate lines that are broadcast; more are joined by page, with the same result.
     """
 
     ratio: float = 0.1
@@ -60,13 +63,25 @@ def line_dedup(docs: DataFrame, p: LineParams = LineParams(), site: str = "sourc
     it is (a null stays null); one that loses all becomes empty.  Rows and their other
     columns all stay.
     """
-    found = written(boilerplate(docs, p, site, copies), "boilerplate")
-    few = found.count() <= p.broadcast_lines
-    lists = found.groupBy("site").agg(F.collect_list(F.struct("h", "g")).alias("__lines")).withColumnRenamed("site", "__site")
-    # a site has at most (lines a page) / ratio such lines
-    joined = docs.join(F.broadcast(lists) if few else lists, F.col(site).cast("string").eqNullSafe(F.col("__site")), "left")
-    lines = _lines(F.col("text"))
-    kept = F.filter(lines, lambda x: (F.btrim(x, F.lit(SPACES)) == "") | ~F.array_contains("__lines", _digest(x)))
+    found = written(boilerplate(docs, p, site, copies).select("site", "h", "g"), "boilerplate")
+    lines, mine = _lines(F.col("text")), F.col(site).cast("string")
+    if found.count() <= p.broadcast_lines:
+        # a site's lines in parts by their hash, so that a line is compared with few of them
+        parts = found.groupBy("site", F.pmod("h", F.lit(PARTS)).cast("int").alias("part")).agg(F.collect_list(F.struct("h", "g")).alias("l"))
+        lists = parts.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("part", "l"))).alias("m"))
+        none = F.array().cast("array<struct<h:bigint,g:bigint>>")
+        lists = lists.select(F.col("site").alias("__site"), F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), none)).alias("__lines"))
+        joined = docs.join(F.broadcast(lists), mine.eqNullSafe(F.col("__site")), "left").drop("__site")
+        gone = lambda d: F.array_contains(F.element_at("__lines", F.pmod(d.h, F.lit(PARTS)).cast("int") + 1), d)
+    else:
+        # digests move, and each page gets those of its lines that go: a hot site is many pages
+        page = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+        each = docs.select(mine.alias("site"), page.alias("__page"), F.explode(F.array_distinct(F.transform(lines, _digest))).alias("d")).select("site", "__page", "d.h", "d.g").distinct()
+        same = each["site"].eqNullSafe(found["site"]) & (each["h"] == found["h"]) & (each["g"] == found["g"])
+        hits = each.join(found, same, "left_semi").groupBy(F.col("site").alias("__site"), "__page").agg(F.collect_list(F.struct("h", "g")).alias("__lines"))
+        joined = docs.withColumn("__own", page).join(hits, mine.eqNullSafe(F.col("__site")) & (F.col("__own") == F.col("__page")), "left").drop("__site", "__page", "__own")
+        gone = lambda d: F.array_contains("__lines", d)
+    kept = F.filter(lines, lambda x: (F.btrim(x, F.lit(SPACES)) == "") | ~gone(_digest(x)))
     out = joined.withColumn("__kept", F.when(F.col("__lines").isNotNull(), kept)).withColumn("__dropped", F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)))
     return out.withColumn("text", F.when(F.col("__dropped") > 0, F.array_join("__kept", "\n")).otherwise(F.col("text"))).select(*docs.columns, "__dropped")
 

@@ -51,54 +51,70 @@ def targets(sizes: list[int], weights: list[float], total: float, repeats: float
     return out
 
 
-def sainte_lague(votes: np.ndarray, limits: np.ndarray, seats: int) -> np.ndarray:
-    """Seats by the highest quotients votes / (2 s + 1), none above its limit; ties go to the earlier."""
-    votes, limits = np.asarray(votes, float), np.where(np.asarray(votes, float) > 0, limits, 0).astype(np.int64)
-    seats = int(min(seats, limits.sum()))
+def sainte_lague(votes: np.ndarray, limits: np.ndarray, seats: int | np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Seats by the highest quotients votes / (2 s + 1), none above its limit; ties go to the earlier.
 
-    def at_least(divisor: float) -> np.ndarray:
-        n = np.floor((votes / divisor + 1) / 2).astype(np.int64)
+    With group (0, 1, ... in order) each group has seats of its own; all are bisected at once.
+    """
+    votes, limits = np.asarray(votes, float), np.where(np.asarray(votes, float) > 0, limits, 0).astype(np.int64)
+    if not len(votes):
+        return np.zeros(0, np.int64)
+    group = np.zeros(len(votes), int) if group is None else np.asarray(group, int)
+    begin = np.flatnonzero(np.diff(group, prepend=-1))
+    group = np.cumsum(np.diff(group, prepend=group[0]) != 0)
+    total = lambda x: np.add.reduceat(x, begin)
+    seats = np.minimum(np.broadcast_to(np.asarray(seats, np.int64), len(begin)), total(limits))
+
+    def at_least(divisor: np.ndarray) -> np.ndarray:
+        d = divisor[group]
+        n = np.floor((votes / d + 1) / 2).astype(np.int64)
         for step in (1, -1):  # the floor may be off by one where a quotient equals the divisor
             more = n + (step == 1)
-            ok = votes / np.maximum(2 * more - 1, 1) >= divisor
+            ok = votes / np.maximum(2 * more - 1, 1) >= d
             n = np.where(ok if step == 1 else ~ok & (n > 0), n + step, n)
         return np.minimum(n, limits)
 
-    if seats <= 0:
-        return np.zeros(len(votes), np.int64)
-    low, high = votes[votes > 0].min() / (4.0 * limits.max() + 4), votes.max() * 2
+    some = np.where(votes > 0, votes, np.inf)
+    low = np.minimum.reduceat(some, begin) / (4.0 * np.maximum.reduceat(limits, begin) + 4)
+    high = np.maximum.reduceat(votes, begin) * 2
+    low, high = np.where(np.isfinite(low), low, 1.0), np.where(high > 0, high, 2.0)
     for _ in range(200):
         mid = (low + high) / 2
-        if mid in (low, high):
+        if not ((mid != low) & (mid != high)).any():
             break
-        low, high = (mid, high) if at_least(mid).sum() >= seats else (low, mid)
+        enough = total(at_least(mid)) >= seats
+        low, high = np.where(enough, mid, low), np.where(enough, high, mid)
     out = at_least(high)  # fewer than seats; the rest have quotients of low, and tie
-    rest = np.flatnonzero(at_least(low) > out)
-    out[rest[: seats - int(out.sum())]] += 1
-    return out
+    rest = at_least(low) > out
+    before = np.cumsum(rest) - rest
+    out += rest & (before - before[begin][group] < (seats - total(out))[group])
+    return np.where((seats > 0)[group], out, 0)
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): the words of each whole text, null counting none."""
+def sizes(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, *carry): the words of each whole text, null counting none."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long").alias("size"), *carry)
 
 
 def _order(seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string")))
 
 
-def mixed(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, passes, begin, offset, quota, blocks, taken), one row a row of docs.
+def mixed(docs: DataFrame, p: MixParams = MixParams(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, passes, begin, offset, quota, blocks, taken, *carry), one row a row of docs.
+
+    carry: columns of docs that go along, as the text does where the mix is written.
 
     taken is the words the mix takes of the document, repeats counted: it is passes
     times the size, plus what the chosen blocks hold of its words (begin is the place of
     its first word in its shard).  Documents that share doc_id and size are
     interchangeable.  Documents without words take none; a source without words has
-    target 0; a null source is a source.  No rows: no rows.
+    target 0; a null source is a source, however many null or empty texts it has.  Repeated
+    rows each count.  No rows: no rows.
     """
     spark = docs.sparkSession
-    rows = written(sizes(docs), "sizes")
+    rows = written(sizes(docs, carry), "sizes")
     found = sorted(rows.groupBy("source").agg(F.sum("size").alias("n")).limit(p.max_shards + 1).collect(), key=lambda r: (r["source"] is None, r["source"]))
     if len(found) > p.max_shards:
         raise ValueError(f"more than {p.max_shards} sources")
@@ -115,19 +131,21 @@ def mixed(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     np.add.at(limit, shards["sid"].to_numpy(int), p.repeats * blocks)
     quotas = sainte_lague(np.array(goal), limit, int(p.share * sum(n) / p.block_words + 0.5))
     shards["blocks"], shards["quota"] = blocks, 0
-    for sid, part in shards.groupby("sid"):
-        shards.loc[part.index, "quota"] = sainte_lague(part["n"].to_numpy(float), p.repeats * part["blocks"].to_numpy(), int(quotas[sid]))
+    if len(shards):
+        shards["quota"] = sainte_lague(shards["n"].to_numpy(float), p.repeats * blocks, quotas[shards["sid"].unique()], shards["sid"].to_numpy())
     quota = spark.createDataFrame(list(shards[["sid", "shard", "blocks", "quota"]].itertuples(index=False, name=None)), "__sid int, __shard int, blocks long, quota long")
 
     before = Window.partitionBy("sid", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = dealt.withColumn("begin", F.sum("size").over(before) - F.col("size")).join(F.broadcast(quota), (F.col("sid") == F.col("__sid")) & (F.col("shard") == F.col("__shard")), "left")
+    # documents without words have no place in a shard, however many a source has
+    laid = dealt.where("size > 0").withColumn("begin", F.sum("size").over(before) - F.col("size")).unionByName(dealt.where("size = 0").withColumn("begin", F.lit(0).cast("long")))
+    laid = laid.join(F.broadcast(quota), (F.col("sid") == F.col("__sid")) & (F.col("shard") == F.col("__shard")), "left")
     start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(p.seed), "sid", "shard")), 1, 8), 16, 10).cast("long")
     laid = laid.withColumn("offset", F.coalesce(F.pmod(start, F.col("blocks")), F.lit(0)))
     taken = F.expr("passes * size") + _chosen(F.col("begin") + F.col("size"), p) - _chosen(F.col("begin"), p)
     return (
         laid.withColumn("passes", F.coalesce(F.expr("quota div blocks"), F.lit(0)))
         .withColumn("taken", F.coalesce(taken, F.lit(0)).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "passes", "begin", "offset", "quota", "blocks", "taken")
+        .select("doc_id", "source", "size", "source_size", "target", "passes", "begin", "offset", "quota", "blocks", "taken", *carry)
     )
 
 

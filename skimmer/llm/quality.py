@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textvec
-from .common import written
+from .common import mapped, written
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,7 @@ def models(docs: DataFrame, good: DataFrame, p: ResampleParams) -> np.ndarray:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text")).join(F.broadcast(good), "__id", "left").select("text", "__good")
     # one row a bucket: at most ``buckets`` of them
-    out = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    out = mapped(rows, count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[out["bucket"]], target[out["bucket"]] = out["raw"], out["target"]
     if not raw.sum() or not target.sum():
@@ -97,7 +97,7 @@ def weights(docs: DataFrame, labels: DataFrame, p: ResampleParams = ResamplePara
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(n), pa.array(w)], ["doc_id", "__digest", "__words", "__weight"])
 
     text = F.col("text").cast("string")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("__digest")).mapInArrow(score, "doc_id long, __digest long, __words long, __weight double")
+    out = mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("__digest")), score, "doc_id long, __digest long, __words long, __weight double")
     noise = -F.log(-F.log((F.shiftrightunsigned(F.xxhash64(F.lit(p.seed), "doc_id", "__digest"), 11) + 0.5) / float(1 << 53)))
     return out.withColumn("__key", F.col("__weight") + noise), min(1.0, share + p.margin)
 
@@ -138,7 +138,12 @@ def resampled(docs: DataFrame, labels: DataFrame, p: ResampleParams = ResamplePa
 
 
 def kept(docs: DataFrame, labels: DataFrame, p: ResampleParams = ResampleParams()) -> DataFrame:
-    """The rows of docs that the classifier keeps, with all their columns."""
+    """The rows of docs that the classifier keeps, with all their columns.
+
+    A row is kept by its doc_id and text, as resampled() says: repeated rows stay or go
+    together, rows that share a doc_id with other texts each by their own weight, rows
+    without a doc_id by their text, and null and empty texts by their noise alone.
+    """
     ids = resampled(docs, labels, p).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__digest"))
     return docs.join(ids, same, "left_semi")

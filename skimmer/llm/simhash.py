@@ -23,21 +23,24 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textvec
-from .common import connected_components, written
+from .common import bounded, connected_components, discard, mapped, written
 
 BLOCK = 512
 
 
 @dataclass(frozen=True)
 class SimHashParams:
-    """max_shards bounds the tree and sample_per_shard * max_shards the sample sent to the driver."""
+    """max_shards bounds the tree and sample_per_shard * max_shards the sample sent to the driver.
+
+    Beyond max_shards * shard_rows distinct values shards grow; each is 8 bytes a value in one task.
+    """
 
     shingle: int = 3
     seed: int = 42
     radius: int = 2
     shard_rows: int = 20_000
     sample_per_shard: int = 64
-    max_shards: int = 4096
+    max_shards: int = 65_536
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -67,7 +70,7 @@ def fingerprints(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "digest", "fp"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text")).mapInArrow(run, "doc_id long, digest long, fp long")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text")), run, "doc_id long, digest long, fp long")
 
 
 def _divide(fps: np.ndarray, radius: int, tries: int = 8) -> tuple[np.uint64, int] | None:
@@ -223,7 +226,7 @@ def linked(distinct: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame
             a, b = stars(rows["fp"].to_numpy(np.int64).view(np.uint64), radius)
         return pd.DataFrame({"a": a, "b": b})
 
-    return distinct.select("fp").mapInArrow(deal, "shard long, fp long, key long").groupBy("shard").applyInPandas(solve, "a long, b long")
+    return mapped(distinct.select("fp"), deal, "shard long, fp long, key long").groupBy("shard").applyInPandas(solve, "a long, b long")
 
 
 def _grouped(docs: DataFrame, p: SimHashParams) -> DataFrame:
@@ -240,12 +243,15 @@ def named(marks: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _labelled(marks: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
     groups = written(connected_components(edges), "components")
-    named = groups.join(distinct, groups["node"] == distinct["fp"]).groupBy("component").agg(F.min("low").alias("lowest"))
+    # one row a component, and the rows of a large component stay where they are if that is few
+    named = written(groups.join(distinct, groups["node"] == distinct["fp"]).groupBy("component").agg(F.min("low").alias("lowest")), "named")
     label = (
-        distinct.join(groups, distinct["fp"] == groups["node"], "left").join(named, "component", "left")
+        distinct.join(groups, distinct["fp"] == groups["node"], "left").join(bounded(named), "component", "left")
         .select("fp", F.coalesce("component", "fp").alias("group"), F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("component_id"))
     )
-    return marks.join(written(label, "labels"), "fp").select("doc_id", "digest", "fp", "component_id", "group")
+    labels = written(label, "labels")
+    discard(groups, named, distinct)
+    return marks.join(labels, "fp").select("doc_id", "digest", "fp", "component_id", "group")
 
 
 def components(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:

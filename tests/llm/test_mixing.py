@@ -22,6 +22,21 @@ def test_sainte_lague(pairs, seats):
     assert mixing.sainte_lague(np.array(votes), np.array(limits), seats).tolist() == brute_seats(votes, limits, seats)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 30)), min_size=1, max_size=5), st.integers(0, 60)), min_size=1, max_size=5))
+def test_sainte_lague_by_group(groups):
+    votes, limits, group = (np.array(x) for x in zip(*((float(v), n, 3 * g) for g, (pairs, _) in enumerate(groups) for v, n in pairs)))
+    want = [x for pairs, seats in groups for x in brute_seats([float(v) for v, _ in pairs], [n for _, n in pairs], seats)]
+    assert mixing.sainte_lague(votes, limits, np.array([s for _, s in groups]), group).tolist() == want
+
+
+def test_a_source_without_words_has_no_window(spark):
+    docs = make_docs(spark, [None, "", " "] * 30 + ["a b c"] * 500, None, ["empty"] * 90 + ["full"] * 500)
+    rows = mixing.mixed(docs).collect()
+    assert len(rows) == 590 and all(r["taken"] == 0 and r["target"] == 0 for r in rows if r["source"] == "empty")
+    assert abs(sum(r["taken"] for r in rows) - 2250) <= 32
+
+
 def test_targets():
     assert mixing.targets([10, 10, 10], [3, 1, 2], 45, 2) == pytest.approx([20, 25 / 3, 50 / 3])
     assert mixing.targets([10, 0, 100], [3, 1, 2], 165, 2) == pytest.approx([20, 0, 145])

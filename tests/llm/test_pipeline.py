@@ -1,8 +1,10 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from skimmer.llm import decontaminate, simhash
+from skimmer.llm import common, decontaminate
 
 from .conftest import DOCS, make_docs
 
@@ -36,9 +38,27 @@ def test_quality_keeps_good_documents(spark, stages):
 
 
 def test_one_document_a_group_stays(stages):
+    """Against all pairs: groups of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
     before, after = stages["near_duplicates"]
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.components(before).collect()}
-    assert sorted(r["doc_id"] for r in after.select("doc_id").collect()) == sorted(set(groups.values()))
+    sets = {}
+    for r in before.collect():
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    ids, parent = sorted(sets), {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            shared = len(sets[i] & sets[j])
+            if shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    groups = {root(i) for i in ids}
+    assert len(groups) < len(ids) and sorted(r["doc_id"] for r in after.select("doc_id").collect()) == sorted(groups)
 
 
 def test_no_benchmark_item_is_left(spark, stages):
@@ -52,6 +72,7 @@ def test_no_benchmark_item_is_left(spark, stages):
 def test_mix(stages):
     before, after = stages["mixing"]
     rows = after.collect()
+    assert {(r["doc_id"], r["text"]) for r in rows} <= {tuple(r) for r in before.select("doc_id", "text").collect()}
     assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in before.select("doc_id").collect()}
     for s in {r["source"] for r in rows}:
         mine = [r for r in rows if r["source"] == s]
@@ -73,3 +94,13 @@ def test_odd_documents(spark, odd_texts):
 def test_run_twice(spark):
     one, two = (sorted(map(tuple, pipeline.run(spark, SF).collect())) for _ in range(2))
     assert one == two and one
+
+
+def test_run_leaves_only_its_result(spark):
+    out = pipeline.run(spark, SF)
+    folder = common.shared_dir(spark).removeprefix("file://") + f"/skimmer/{spark.sparkContext.applicationId}"
+    mine = {p for p in os.listdir(folder) if p.startswith("pipeline-")}
+    assert out.count() and os.path.basename(out._skimmer_path) in mine
+    before = set(os.listdir(folder))
+    again = pipeline.run(spark, SF)
+    assert set(os.listdir(folder)) - before == {os.path.basename(again._skimmer_path)}

@@ -50,6 +50,24 @@ def test_kth_largest(spark):
         assert quality.kth_largest(df, "x", k, 16, 50) == sorted(values, reverse=True)[k - 1]
 
 
+def test_the_largest_keys_are_selected(spark):
+    texts, labels = corpus()
+    docs, marks = make_docs(spark, texts), spark.createDataFrame(labels, LABELS)
+    scored, share = quality.weights(docs, marks)
+    keys = sorted(((r["__key"], r["doc_id"]) for r in scored.collect()), reverse=True)
+    want = {d for _, d in keys[: round(share * len(texts))]}
+    assert {r["doc_id"] for r in quality.resampled(docs, marks).collect()} == want == {r["doc_id"] for r in quality.kept(docs, marks).collect()}
+
+
+def test_unseen_labels(spark):
+    """Fitted on half of the table's labels, the weights tell the other half's good documents from the bad ones."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    scored, _ = quality.weights(docs, labels.where("doc_id % 2 = 0"))
+    rows = scored.join(labels.where("doc_id % 2 = 1"), "doc_id").select("quality", "__weight").collect()
+    good, bad = ([r["__weight"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert bad and sum((g > b) + 0.5 * (g == b) for g in good for b in bad) >= 0.8 * len(good) * len(bad)
+
+
 def test_odd_input(spark, odd_texts):
     docs = make_docs(spark, odd_texts, [None if i == 2 else i % 15 for i in range(len(odd_texts))])
     none = spark.createDataFrame([], LABELS)
