@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACES, written
+from .common import SPACES, bounded, written
 
 
 PARTS = 64
@@ -39,13 +39,13 @@ def boilerplate(docs: DataFrame, p: LineParams = LineParams(), site: str = "sour
 
     Pages are the distinct texts of a site, so that a page that was copied many times
     isn't boilerplate for that.  With ``copies`` (page, group: one row for each text's
-    XXH64) the texts of a group are one page.
+    XXH64, as a written table) the texts of a group are one page.
     """
     kept = F.filter(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     pages = docs.select(F.col(site).cast("string").alias("site"), F.xxhash64(text).alias("page"), F.array_distinct(F.transform(kept, _digest)).alias("d"))
     if copies is not None:
-        pages = pages.join(copies, "page", "left").select("site", F.coalesce("group", "page").alias("page"), "d")
+        pages = pages.join(bounded(copies), "page", "left").select("site", F.coalesce("group", "page").alias("page"), "d")
     # the page itself is counted as a line without digest: one shuffle gives pages and lines
     rows = pages.select("site", "page", F.explode(F.concat(F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("g"))), "d")).alias("d"))
     rows = rows.select("site", "d.h", "d.g", "page").distinct()

@@ -114,7 +114,7 @@ def mixed(docs: DataFrame, p: MixParams = MixParams(), carry: tuple[str, ...] =
     rows each count.  No rows: no rows.
     """
     spark = docs.sparkSession
-    rows = written(sizes(docs, carry), "sizes")
+    rows = written(sizes(docs), "sizes")
     found = sorted(rows.groupBy("source").agg(F.sum("size").alias("n")).limit(p.max_shards + 1).collect(), key=lambda r: (r["source"] is None, r["source"]))
     if len(found) > p.max_shards:
         raise ValueError(f"more than {p.max_shards} sources")
@@ -122,10 +122,10 @@ def mixed(docs: DataFrame, p: MixParams = MixParams(), carry: tuple[str, ...] =
     goal = targets(n, weight, p.share * sum(n), p.repeats)
     words = max(p.shard_words, -(-sum(n) // p.max_shards))
     table = spark.createDataFrame([(i, r["source"], r["n"], goal[i], max(1, -(-r["n"] // words))) for i, r in enumerate(found)], "sid int, __source string, source_size long, target double, shards int")
-    dealt = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("place", _order(p.seed))
+    dealt = (sizes(docs, carry) if carry else rows).join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("place", _order(p.seed))
     dealt = dealt.withColumn("shard", F.pmod(F.conv(F.substring("place", 1, 8), 16, 10).cast("long"), F.col("shards").cast("long")).cast("int"))
 
-    shards = dealt.groupBy("sid", "shard").agg(F.sum("size").alias("n")).where("n > 0").toPandas().sort_values(["sid", "shard"], ignore_index=True)
+    shards = dealt.select("sid", "shard", "size").groupBy("sid", "shard").agg(F.sum("size").alias("n")).where("n > 0").toPandas().sort_values(["sid", "shard"], ignore_index=True)
     blocks = -(-shards["n"].to_numpy(np.int64) // p.block_words)
     limit = np.zeros(len(found), np.int64)
     np.add.at(limit, shards["sid"].to_numpy(int), p.repeats * blocks)

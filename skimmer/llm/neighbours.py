@@ -47,7 +47,7 @@ class CrossPolytopeParams:
     max_tables: int = 8
     max_probes: int = 4096
     bucket_rows: int = 64
-    group_rows: int = 4096
+    group_rows: int = 16_384
     block_rows: int = 20_000
     shells: int = 16
     shell_ratio: float = 1.2
@@ -195,7 +195,8 @@ def calibrated(index: DataFrame, queries: DataFrame, n: int, space: Space, p: Cr
     """p with axes, depth, tables and probes for the n rows of index (vec_id, v).
 
     The sample is the ``sample`` queries of the smallest hash; they scan the index, and
-    the driver sees k + 1 rows a query.  Cost: inner products, and copies of vectors at 32 of them.
+    the driver sees k + 1 rows a query.  Cost: inner products, copies of vectors at 32 of
+    them, and answers of a group, each of k + 1 rows, at 16.
     """
     if p.tables and p.probes:
         return geometry(n, p)
@@ -237,7 +238,7 @@ def calibrated(index: DataFrame, queries: DataFrame, n: int, space: Space, p: Cr
             need, tables = int(np.sort(ranks)[math.ceil(p.target * len(ranks)) - 1]) + 1, table + 1
             if need <= most and tables >= p.tables and tables.bit_count() == 1 or tables == p.tables:
                 groups = min(need, max(1, n // p.group_rows))
-                cost = tables * (min(need, g.buckets) * n / g.buckets + 32 * (groups + every))
+                cost = tables * (min(need, g.buckets) * n / g.buckets + (32 + 16 * k) * groups + 32 * every)
                 if need <= most and (best is None or cost < best[0]):
                     best = (cost, tables, need)
         if best or g.axes == p.axes or g.buckets <= 2:

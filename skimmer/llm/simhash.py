@@ -278,11 +278,11 @@ def deduplicated(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFra
 def lowest(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """The rows of docs that deduplicated() keeps, given their groups."""
     best = grouped.where("doc_id = component_id").groupBy("group").agg(F.min("doc_id").alias("__id"), F.min("digest").alias("__digest"))
-    digest_ = F.xxhash64(F.col("text").cast("string"))
-    same = (F.col("doc_id").cast("long") == F.col("__id")) & (digest_ == F.col("__digest"))
-    out = docs.join(best.select("__id", "__digest").distinct(), same, "left_semi")
-    order = F.row_number().over(Window.partitionBy("doc_id", "__digest").orderBy("__digest"))
-    out = out.withColumn("__digest", digest_).withColumn("__rank", order).where("__rank = 1").drop("__rank", "__digest")
+    # the join and the window deal rows by the same columns, so that texts move once
+    keyed = docs.withColumns({"__key": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.col("text").cast("string"))})
+    out = keyed.join(best.select("__id", "__digest").distinct(), (F.col("__key") == F.col("__id")) & (F.col("__text") == F.col("__digest")), "left_semi")
+    order = F.row_number().over(Window.partitionBy("__key", "__text").orderBy("__text"))
+    out = out.withColumn("__rank", order).where("__rank = 1").drop("__rank", "__key", "__text")
     return out.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
