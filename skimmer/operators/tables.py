@@ -53,6 +53,14 @@ def chain_probes(keys: DataFrame, key: str, capacity: int, hasher: Hasher = PORT
         "n_keys", "probes", (F.col("probes") / F.col("n_keys")).alias("mean_probes"), (F.col("n_keys") / capacity).alias("load_factor"))
 
 
+def chain_misses(keys: DataFrame, asked: DataFrame, key: str, capacity: int, hasher: Hasher = PORTABLE) -> DataFrame:
+    """n_keys, probes, mean_probes of looking each distinct absent key up once: a miss compares the whole chain of its slot."""
+    absent = asked.select(key).distinct().join(keys.select(key).distinct(), key, "left_anti")
+    lengths = slots(keys, key, capacity, hasher).groupBy("slot").agg(F.count("*").alias("n"))
+    cost = slots(absent, key, capacity, hasher).join(lengths, "slot", "left").agg(F.count("*").alias("n_keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("probes"))
+    return cost.select("n_keys", "probes", F.coalesce(F.try_divide("probes", "n_keys"), F.lit(0.0)).alias("mean_probes"))
+
+
 def linear_probing(keys: DataFrame, key: str, capacity: int, hasher: Hasher = PORTABLE) -> DataFrame:
     """slot, arrivals, carry, occupied of a linear-probing table after inserting the distinct keys.
 

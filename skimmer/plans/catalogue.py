@@ -112,10 +112,9 @@ def hash_quality_report(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH s AS (SELECT b, xor({sql_h("o_orderkey::VARCHAR")}, {sql_h("xor(o_orderkey, (CASE WHEN b = 63 THEN -9223372036854775808 ELSE 1::BIGINT << b END)::BIGINT)::VARCHAR")}) AS d FROM orders, range(64) r(b))
 SELECT b AS bit_in, round(sum(bit_count(d)) / count(*) / 60, 6) AS mean_rate, count(*) AS n_samples FROM s GROUP BY b""")
 def hash_avalanche(spark: SparkSession, d: str) -> DataFrame:
-    flips = table(spark, d, "orders").select(F.col("o_orderkey").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("b"))
-    other = F.col("x").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b")))
-    diff = H.h(F.col("x").cast("string")).bitwiseXOR(H.h(other.cast("string")))
-    return flips.select(F.col("b").cast("bigint").alias("bit_in"), F.bit_count(diff).alias("n")).groupBy("bit_in").agg(r6(F.sum("n") / F.count("*") / 60).alias("mean_rate"), F.count("*").alias("n_samples"))
+    orders = table(spark, d, "orders").select("o_orderkey")
+    rates = quality.avalanche(orders, "o_orderkey", PORTABLE_FN, 60).groupBy(F.col("bit_in").cast("bigint").alias("bit_in")).agg(r6(F.avg("rate")).alias("mean_rate"))
+    return rates.join(F.broadcast(orders.agg(F.count("*").alias("n_samples"))))  # one row
 
 
 @query(f"""WITH e AS (SELECT ts::DATE AS day, 60 - length(ltrim(bin({sql_h("event_id::VARCHAR")}), '0')) AS z FROM events),
@@ -184,6 +183,17 @@ def chain_probe_cost(spark: SparkSession, d: str) -> DataFrame:
     return tables.chain_probes(o, "o_orderkey", capacity).withColumns({c: r6(F.col(c)) for c in ("mean_probes", "load_factor")})
 
 
+_FAR = "SELECT DISTINCT (o_orderkey + 1000000000)::VARCHAR AS k FROM orders"
+
+
+@query(f"SELECT count(*) AS n_keys, coalesce(sum(n), 0)::BIGINT AS probes, round(coalesce(sum(n), 0) / count(*), 6) AS mean_probes FROM (SELECT {sql_h('k')} % {_CAP} AS slot FROM ({_FAR})) JOIN ({_N}) ON s = slot")
+def chain_miss_cost(spark: SparkSession, d: str) -> DataFrame:
+    """Probes of keys that the table doesn't hold."""
+    o, capacity = _orders(spark, d)
+    far = o.select((F.col("o_orderkey") + 1_000_000_000).alias("o_orderkey"))
+    return tables.chain_misses(o, far, "o_orderkey", capacity).withColumn("mean_probes", r6(F.col("mean_probes")))
+
+
 def _probing(cap: str) -> str:
     n = f"SELECT s, count(k) AS n FROM (SELECT unnest(range({cap})) AS s) LEFT JOIN (SELECT {sql_h('k')} % {cap} AS slot, k FROM ({_K})) ON slot = s GROUP BY s"
     return f"""r AS (SELECT l, s, n, l * {cap} + s AS p FROM ({n}), range(2) t(l)),
@@ -628,7 +638,7 @@ NP = 16
 
 
 def _signatures(spark: SparkSession, d: str, name: str = "documents", id_: str = "doc_id") -> DataFrame:
-    return similarity.signatures(similarity.with_empty(table(spark, d, name), id_, "text"), NP, "portable")
+    return similarity.text_signatures(table(spark, d, name), id_, "text", NP, "portable")
 
 
 @query(f"SELECT id AS doc_id, {', '.join(f'm{i}' for i in range(NP))} FROM ({sql_signatures(_SH, NP)})")
@@ -691,6 +701,26 @@ def lsh_stats(spark: SparkSession, d: str) -> DataFrame:
     return similarity.lsh_stats(_signatures(spark, d), 8, 2).withColumn("work_ratio", r6(F.col("work_ratio")))
 
 
+@query(f"""WITH {_SIGS}, n AS (SELECT count(*) AS n FROM sg), c AS (SELECT count(*) AS c FROM ({sql_candidates(8, 2)}))
+SELECT m::BIGINT AS n_docs, (m * (m - 1) // 2)::BIGINT AS all_pairs, round(c / n * m, 4) AS projected_candidates, false AS measured FROM n, c, (SELECT unnest([10000, 100000, 1000000]::BIGINT[]) AS m)""")
+def lsh_work_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Comparisons at sizes not run: all pairs against the candidates a document has here."""
+    one = similarity.lsh_stats(_signatures(spark, d), 8, 2).select((F.col("candidate_pairs") / F.col("n_keys")).alias("each"))
+    sizes = spark.createDataFrame([(m, m * (m - 1) // 2) for m in (10**4, 10**5, 10**6)], "n_docs long, all_pairs long")
+    return sizes.join(F.broadcast(one)).select("n_docs", "all_pairs", F.round(F.col("each") * F.col("n_docs"), 4).alias("projected_candidates"), F.lit(False).alias("measured"))
+
+
+DEFAULT_PERM, DEFAULT_BANDINGS = 128, ((16, 8), (32, 4))
+
+
+@query(f"WITH sg AS MATERIALIZED ({sql_signatures(sql_shingles('benchmark', 'item_id'), DEFAULT_PERM)}) " + " UNION ALL ".join(f'SELECT {b}::BIGINT AS bands, {r}::BIGINT AS "rows", (SELECT count(*) FROM sg) AS n_keys, count(*) AS candidate_pairs FROM ({sql_candidates(b, r)})' for b, r in DEFAULT_BANDINGS))
+def lsh_default_geometry(spark: SparkSession, d: str) -> DataFrame:
+    """128 permutations in both of their usual bandings, over the benchmark's items."""
+    sigs = similarity.text_signatures(table(spark, d, "benchmark"), "item_id", "text", DEFAULT_PERM, "portable")
+    n = sigs.agg(F.count("*").alias("n_keys"))
+    return union([similarity.candidate_pairs(similarity.band_keys(sigs, b, r)).agg(F.count("*").alias("candidate_pairs")).join(F.broadcast(n)).select(F.lit(b).cast("bigint").alias("bands"), F.lit(r).cast("bigint").alias("rows"), "n_keys", "candidate_pairs") for b, r in DEFAULT_BANDINGS])
+
+
 BANDINGS = ((4, 4), (8, 2), (16, 1))
 
 
@@ -710,7 +740,8 @@ def lsh_recall_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_SIGS}, {_PAIRS} SELECT c.a, c.b, round(j, 6) AS jaccard FROM ({sql_candidates(8, 2)}) c JOIN tr ON c.a = tr.a AND c.b = tr.b")
 def lsh_verified_pairs(spark: SparkSession, d: str) -> DataFrame:
-    sets = table(spark, d, "documents").select(F.col("doc_id").alias("id"), similarity.shingles(F.col("text")).alias("s"))
+    # sets of 64-bit hashes: a fraction of the bytes in the joins, and compared as numbers
+    sets = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.transform(similarity.shingles(F.col("text")), lambda s: F.xxhash64(s)).alias("s"))
     found = similarity.verified_pairs(lsh_candidates(spark, d), sets, 0.5)
     return found.select("a", "b", r6(F.col("jaccard")).alias("jaccard"))
 
@@ -772,6 +803,14 @@ def fh_collision_curve(spark: SparkSession, d: str) -> DataFrame:
     return union([features.collision_rate(tokens, "token", b).select(F.lit(b).cast("bigint").alias("n_buckets"), n, r6(F.col("collision_rate")).alias("measured"), r6(expected(b)).alias("expected"), F.lit(8 * b).cast("bigint").alias("bytes_per_row")) for b in BUCKETS])
 
 
+@query("WITH b AS (SELECT avg(strlen(c_name) + 100) AS b FROM (SELECT DISTINCT c_name FROM customer)) SELECT n::BIGINT AS n_categories, round(b * n, 0)::BIGINT AS vocabulary_bytes, 2048::BIGINT AS hashed_bytes_per_row, false AS measured FROM (SELECT unnest([10000, 1000000, 100000000]) AS n), b")
+def fh_vocabulary_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Modelled bytes of a one-hot vocabulary at sizes not built, against a row of 256 buckets."""
+    each = table(spark, d, "customer").select("c_name").distinct().agg(F.avg(F.octet_length("c_name") + 100).alias("b"))
+    sizes = spark.createDataFrame([(n,) for n in (10**4, 10**6, 10**8)], "n_categories long")
+    return sizes.join(F.broadcast(each)).select("n_categories", F.round(F.col("b") * F.col("n_categories")).cast("bigint").alias("vocabulary_bytes"), F.lit(2048).cast("bigint").alias("hashed_bytes_per_row"), F.lit(False).alias("measured"))
+
+
 @query(f"SELECT bucket, array_to_string(list_sort(list(token)), '|') AS tokens FROM (SELECT DISTINCT token, {sql_h('token')} % 64 AS bucket FROM ({_TOK})) GROUP BY bucket HAVING count(*) > 1")
 def fh_colliding_groups(spark: SparkSession, d: str) -> DataFrame:
     return features.colliding_groups(_tokens(spark, d), "token", 64).select("bucket", F.array_join("tokens", "|").alias("tokens"))
@@ -811,6 +850,32 @@ def fh_ridge_r2(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumn("peak", peak).withColumn("knee", near).drop("peak")
 
 
+# ---- generated data -------------------------------------------------------------------------
+
+_FACTS = (("stream zipf", "items", 20_000), ("stream zipf", "distinct", 2_000), ("stream uniform", "items", 20_000), ("stream uniform", "distinct", 2_000), ("absent", "items", 500), ("absent", "in the stream", 0),
+          ("unique", "distinct", 3_000), ("corpus", "documents", 300), ("corpus", "words a document", 60), ("corpus", "planted pairs", 40), ("corpus", "pairs that differ in over 2 words", 0),
+          ("categorical", "rows", 4_000), ("categorical", "cities", 20), ("categorical", "devices", 3))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{f}', {v}::BIGINT)" for g, f, v in _FACTS) + ") t(generator, fact, value)")
+def generator_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of the seeded generators, counted over their whole output."""
+    streams = {kind: datagen.stream(spark, 20_000, 2_000, 3, kind) for kind in ("zipf", "uniform")}
+    absent, (docs, pairs) = datagen.absent_items(spark, 500), datagen.text_corpus(spark, 300, 40)
+    words = docs.select("doc_id", F.split("text", " ").alias("w"))
+    both = pairs.join(words.withColumnsRenamed({"doc_id": "a", "w": "x"}), "a").join(words.withColumnsRenamed({"doc_id": "b", "w": "y"}), "b")
+    apart = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x != y), lambda z: z))
+    table_ = datagen.categorical_table(spark, 4_000, 500, 50)
+    n, distinct = F.count("*"), F.count_distinct
+    found = [(f"stream {k}", f, s.agg(c.alias("value"))) for k, s in streams.items() for f, c in (("items", n), ("distinct", distinct("item")))]
+    found += [("absent", "items", absent.agg(n.alias("value"))), ("absent", "in the stream", absent.join(streams["zipf"], "item").agg(n.alias("value")))]
+    found += [("unique", "distinct", datagen.unique_items(spark, 3_000).agg(distinct("id").alias("value"))), ("corpus", "documents", docs.agg(n.alias("value")))]
+    found += [("corpus", "words a document", words.select(F.size("w").alias("value")).distinct()), ("corpus", "planted pairs", pairs.agg(n.alias("value")))]
+    found += [("corpus", "pairs that differ in over 2 words", both.where(apart > 2).agg(n.alias("value"))), ("categorical", "rows", table_.agg(n.alias("value")))]
+    found += [("categorical", "cities", table_.agg(distinct("city").alias("value"))), ("categorical", "devices", table_.agg(distinct("device").alias("value")))]
+    return union([x.select(F.lit(g).alias("generator"), F.lit(f).alias("fact"), F.col("value").cast("bigint").alias("value")) for g, f, x in found])
+
+
 # ---- streaming ------------------------------------------------------------------------------
 
 

@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import settings
+
 
 def clean(value):
     """value as JSON types: frames and rows as records, sets in order of their repr, non-finite numbers as null, others by repr."""
@@ -31,8 +33,10 @@ def clean(value):
     return value if value is None or isinstance(value, (bool, int, str)) else repr(value)
 
 
-def save(payload, name: str, folder: str | Path, seed: int = 0) -> Path:
-    """folder/name.json, with what was saved under _meta; the same payload gives the same bytes."""
+def save(payload, name: str, folder: str | Path | None = None, seed: int | None = None) -> Path:
+    """folder/name.json, with what was saved under _meta; the same payload gives the same bytes. Folder and seed are those of the settings unless given."""
+    where = settings.of("output")
+    folder, seed = where.folder if folder is None else folder, where.seed if seed is None else seed
     body = clean(payload)
     body = body if isinstance(body, dict) else {"rows": body}
     path = Path(folder) / f"{name}.json"
@@ -41,8 +45,8 @@ def save(payload, name: str, folder: str | Path, seed: int = 0) -> Path:
     return path
 
 
-def load(name: str, folder: str | Path) -> dict:
-    return json.loads((Path(folder) / f"{name}.json").read_text())
+def load(name: str, folder: str | Path | None = None) -> dict:
+    return json.loads((Path(settings.of("output").folder if folder is None else folder) / f"{name}.json").read_text())
 
 
 def scrubbed(df: DataFrame) -> DataFrame:

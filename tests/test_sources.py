@@ -55,15 +55,18 @@ def test_result_documents(spark, tmp_path):
     assert json.loads(results.to_documents(df).orderBy("document").first()[0]) == {"a": 1, "b": None}
 
 
-def test_settings():
-    s = settings.Settings()
-    assert s.lsh.num_bands * s.lsh.rows_per_band == s.minhash.num_perm
-    over = settings.load({"seed": 5, "bloom": {"target_fp_rate": 0.2}}, {"SKIMMER_SEED": "9", "SKIMMER_COUNT_MIN__TOP_K": "3", "SKIMMER_FEATURE_HASHING__ALTERNATE_SIGN": "false"})
-    assert (over.seed, over.bloom.target_fp_rate, over.count_min.top_k, over.feature_hashing.alternate_sign) == (9, 0.2, 3, False)
-    for bad in ({"nope": 1}, {"bloom": {"nope": 1}}, {"lsh": {"num_bands": 3}}):
+def test_settings(tmp_path, monkeypatch):
+    assert settings.of("hll", {}) == settings.SECTIONS["hll"]
+    env = {"SKIMMER_HLL__PRECISION": "12", "SKIMMER_COUNT_MIN__EPSILON": "0.01", "OTHER": "1"}
+    settings.check(env)
+    assert settings.of("hll", env).precision == 12 and settings.of("count_min", env).epsilon == 0.01
+    for bad in ({"SKIMMER_NOPE__X": "1"}, {"SKIMMER_HLL__NOPE": "1"}, {"SKIMMER_HLL__PRECISION": "99"}, {"SKIMMER_COUNT_MIN__DELTA": "x"}):
         with pytest.raises(ValueError):
-            settings.load(bad, {})
-    assert settings.get() is settings.get()
+            settings.check(bad)
+    monkeypatch.setenv("SKIMMER_OUTPUT__FOLDER", str(tmp_path / "out"))
+    monkeypatch.setenv("SKIMMER_OUTPUT__SEED", "4")
+    assert results.save({"a": 1}, "x").parent == tmp_path / "out"
+    assert results.load("x")["_meta"]["seed"] == 4
 
 
 def test_streams(spark, tmp_path):
