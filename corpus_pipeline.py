@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skimmer.llm import decontaminate, lines, mixing, near_copies, quality
+from skimmer.llm import decontaminate, lines, mixing, near_copies, quality, simhash
 from skimmer.llm.common import discard, new_path, scope, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,6 +17,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: A source mixes languages, so that its boilerplate is on few of its pages (README); near copies count as one page.
 LINES = lines.LineParams(ratio=0.01)
 
+#: SimHash fingerprints within op5's radius come first.
+COPIES = near_copies.NearCopyParams(radius=simhash.SimHashParams().radius)
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards the labelled good ones keeps."""
@@ -33,8 +36,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
-    return near_copies.deduplicated(docs)
+    """One document of each group of near copies: SimHash within two bits, then bands; all verified by five-word shingles at a Jaccard similarity of 0.8."""
+    return near_copies.deduplicated(docs, COPIES)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ MinHash values each deal it to buckets; two sets of Jaccard similarity s share n
 probability (1 - s**rows)**bands, 3 in 100,000 at 0.8.  Buckets with the same members
 count once.  Inside a bucket each set reached is compared with all that aren't yet, so
 the links are those of all pairs though no pair becomes a row.  A large bucket is cut
-into pieces of bounded size, and each two of them meet in a task.  A few bands come
-first; of the others only buckets move whose members aren't linked by then.
+into pieces of bounded size, and each two of them meet in a task.  SimHash comes
+first, where a radius is given: sets whose fingerprints are linked within it meet like
+members of a bucket, together with a few bands; of the other bands, which find what
+lies beyond the radius, only buckets move whose members aren't linked by then.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ from .common import bounded, connected_components, discard, mapped, new_path, sc
 
 @dataclass(frozen=True)
 class NearCopyParams:
-    """piece_shingles bounds the shingles of a piece of a bucket, as far as one text allows; first is how many bands come first."""
+    """piece_shingles bounds the shingles of a piece of a bucket, as far as one text allows; first is how many bands come first.
+
+    radius is that of the SimHash step, None without one.
+    """
 
     shingle: int = 5
     threshold: float = 0.8
@@ -35,6 +40,7 @@ class NearCopyParams:
     first: int = 4
     seed: int = 42
     piece_shingles: int = 1_000_000
+    radius: int | None = None
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -61,22 +67,31 @@ def band_keys(h: np.ndarray, first: np.ndarray, p: NearCopyParams) -> np.ndarray
     return out
 
 
+def fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash of a set of hashes: a bit is set if it is set in over half of them."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), 8192):
+        count += np.unpackbits(shingles[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(shingles), bitorder="little").view("<u8")[0])
+
+
 def marks(docs: DataFrame, p: NearCopyParams = NearCopyParams()) -> DataFrame:
-    """(doc_id, digest, fp, n, keys): each row's set of shingles by name, size and bands, and its text's XXH64."""
+    """(doc_id, digest, fp, n, keys, sim): each row's set of shingles by name, size, bands and SimHash (0 without a radius), and its text's XXH64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, sizes, keys = [], [], []
+            names, sizes, keys, sims = [], [], [], []
             for h, first in shingle_sets(b.column(2), p.shingle):
                 own = [np.unique(h[x:y]) for x, y in zip(first, first[1:])]
                 names += map(_node, own)
                 sizes += map(len, own)
+                sims += map(fingerprint, own) if p.radius is not None else [0] * len(own)
                 keys += [k if len(s) else [] for k, s in zip(band_keys(h, first, p).view(np.int64).tolist(), own)]
-            columns = [b.column(0), b.column(1), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "fp", "n", "keys"])
+            columns = [b.column(0), b.column(1), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(sims, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "fp", "n", "keys", "sim"])
 
     text = F.col("text").cast("string")
-    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text")), run, "doc_id long, digest long, fp long, n long, keys array<long>")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text")), run, "doc_id long, digest long, fp long, n long, keys array<long>, sim long")
 
 
 def sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -123,16 +138,30 @@ def stars(names: np.ndarray, shingles: list[np.ndarray], threshold: float) -> tu
 
 def linked(docs: DataFrame, rows: DataFrame, p: NearCopyParams = NearCopyParams()) -> DataFrame:
     """(a, b): edges over the sets of ``rows``, the marks of docs, whose components are those of all pairs in a bucket."""
-    distinct = rows.groupBy("fp").agg(F.min_by("keys", "digest").alias("keys"), F.min_by("n", "digest").alias("n"), F.min("digest").alias("digest"))
+    distinct = rows.groupBy("fp").agg(F.min_by("keys", "digest").alias("keys"), F.min_by("n", "digest").alias("n"), F.min_by("sim", "digest").alias("sim"), F.min("digest").alias("digest"))
     distinct = written(distinct, "shingle-sets")
-    one = _met(docs, distinct.select("fp", "n", "digest", F.col("fp").alias("group"), F.explode(F.slice("keys", 1, p.first)).alias("key")), p)
+    members = distinct.select("fp", "n", "digest", F.col("fp").alias("group"), F.explode(F.slice("keys", 1, p.first)).alias("key"))
+    near = None
+    if p.radius is not None:
+        near = simhash_groups(distinct.where("n > 0"), p.radius)
+        members = members.unionByName(distinct.join(near, "fp").select("fp", "n", "digest", F.col("fp").alias("group"), F.xxhash64(F.lit("simhash"), "near").alias("key")))
+    one = _met(docs, members, p)
     groups = written(connected_components(one), "components")
     label = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "n", "digest", F.coalesce("component", "fp").alias("group"), "keys")
     two = _met(docs, label.select("fp", "n", "digest", "group", F.explode(F.slice("keys", p.first + 1, p.bands)).alias("key")), p)
-    discard(distinct, groups)
+    discard(distinct, groups, near)
     return one.unionByName(two)
 
 
+def simhash_groups(distinct: DataFrame, radius: int) -> DataFrame:
+    """(fp, near): the sets (fp, sim) by the component of their fingerprints, which vantage-point trees link within the radius."""
+    values = written(distinct.select(F.col("sim").alias("fp")).distinct(), "fingerprints")
+    groups = written(connected_components(simhash.linked(values, simhash.SimHashParams(radius=radius))), "components")
+    out = written(distinct.select("fp", "sim").join(groups, F.col("sim") == F.col("node"), "left").select("fp", F.coalesce("component", "sim").alias("near")), "near")
+    discard(values, groups)
+    return out
+
+
 def _met(docs: DataFrame, members: DataFrame, p: NearCopyParams) -> DataFrame:
     """(a, b): edges among members (fp, n, digest, group, key) that meet under a key, as a written table. Buckets of one group have nothing to add."""
     size = (F.count("*").alias("size"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("y"))

@@ -64,3 +64,21 @@ def test_stage_drops_what_radius_two_leaves(spark, texts):
 
 def test_empty(spark):
     assert near_copies.deduplicated(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_simhash_finds_what_no_band_has(spark):
+    """Of texts of 3,000 words with a word changed, a band of 3,000 values has none and SimHash has those within two bits."""
+    rng = random.Random(5)
+    bases = [[f"w{rng.randrange(10**6)}" for _ in range(3000)] for _ in range(6)]
+    docs = make_docs(spark, [t for b in bases for t in (" ".join(b), edited(rng, b, 1))] + ["x y", None])
+    p = near_copies.NearCopyParams(bands=1, rows=3000, first=1)
+    assert near_copies.deduplicated(docs, p).count() == 14
+    assert 8 <= near_copies.deduplicated(docs, near_copies.NearCopyParams(bands=1, rows=3000, first=1, radius=2)).count() <= 12
+
+
+def test_stage_links_fingerprints(spark, texts, monkeypatch):
+    """The stage's method is SimHash; the bands only add to it."""
+    asked, linked = [], simhash.linked
+    monkeypatch.setattr(simhash, "linked", lambda rows, p: asked.append(p.radius) or linked(rows, p))
+    pipeline.simhash_stage(spark, make_docs(spark, texts), "").collect()
+    assert asked == [2]
